@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, packing, sharding
+from skein.llm import bpe, covertree, packing, sharding, simhash
 
-MODULES = (sharding, bpe, packing)
+MODULES = (sharding, bpe, simhash, covertree, packing)
 
 
 def queries() -> dict:
