@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, covertree, packing, sharding, simhash
+from skein.llm import bpe, covertree, html, packing, pii, sharding, simhash
 
-MODULES = (sharding, bpe, simhash, covertree, packing)
+MODULES = (sharding, bpe, simhash, covertree, html, packing, pii)
 
 
 def queries() -> dict:
