@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, covertree, html, packing, pii, sharding, simhash
+from skein.llm import bpe, covertree, html, packing, pii, quality, sharding, simhash
 
-MODULES = (sharding, bpe, simhash, covertree, html, packing, pii)
+MODULES = (sharding, bpe, simhash, covertree, html, quality, packing, pii)
 
 
 def queries() -> dict:
