@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, covertree, html, linededup, packing, pii, quality, sharding, simhash
+from skein.llm import bpe, covertree, html, licenses, linededup, packing, pii, quality, sharding, simhash
 
-MODULES = (sharding, bpe, linededup, simhash, covertree, html, quality, packing, pii)
+MODULES = (licenses, sharding, bpe, linededup, simhash, covertree, html, quality, packing, pii)
 
 
 def queries() -> dict:
