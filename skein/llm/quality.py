@@ -70,7 +70,11 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": repeated_words(F.col(words), F.col(windows)),
     }
-    df = df.withColumns({k: v.cast("long") for k, v in found.items()}).drop(words, lines, windows)
+    # One-row generators: a filter on the counts is not moved below them, where it would count again in each term.
+    counts = F.struct(*[v.cast("long").alias(k) for k, v in found.items()])
+    packed = fresh(df, "counts_of_text")
+    rest = [c for c in df.columns if c not in (words, lines, windows)]
+    df = df.withColumn(packed, F.explode(F.array(counts))).select(*rest, f"{packed}.*")
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
