@@ -94,7 +94,7 @@ def brute_lines(rows):
 
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if min(len(a.split(" ")), len(b.split(" "))) >= 5 and (print_of[a] ^ print_of[b]).bit_count() <= 3 and distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            if min(len(a.split(" ")), len(b.split(" "))) >= 5 and (print_of[a] ^ print_of[b]).bit_count() <= 3 and distance(a.split(), b.split()) <= int(0.2 * max(len(a.split()), len(b.split())) + 1e-9):
                 up[find(a)] = find(b)
     first = {}
     for r, i, s in place:
