@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import fresh, with_row_id
+from skein.llm.common import Scratch, fresh, with_row_id
 
 #: Words of a shingle (a shorter template is one shingle), and the least share of a template's shingles in a window.
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -80,7 +80,7 @@ def bands_of(shingles: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), least(b)) for b in range(BANDS)])
 
 
-def scan_licenses(df: DataFrame, text: str, keep: list[str], templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(df: DataFrame, text: str, keep: list[str], templates: dict[str, str] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(keep, license, containment, word): for every row and template that it holds, the best window.
 
     A template is held by a window of the text's words (letters and digits, lower case)
@@ -101,7 +101,10 @@ def scan_licenses(df: DataFrame, text: str, keep: list[str], templates: dict[str
     some = F.lit(False)
     for w in words:
         some = some | low.contains(w)
+    # Written once: every class of templates reads these words, and most texts have no anchor.
+    scratch = scratch or Scratch(spark, "licenses")
     docs = with_row_id(df.select(*keep, text), row).where(some).withColumn("__words", words_of(F.col(text))).drop(text)
+    docs = scratch.write(docs)
     classes: dict[tuple[int, int], dict[str, str]] = {}
     for name, t in templates.items():
         n = len(_plain(t))
