@@ -13,8 +13,7 @@ LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 LEAST_DOCS, SHARE = 10, 0.05
 #: A document that lost lines is depleted with less than LEFT of its words.
 LEFT = 0.3
-SYMBOLS = "#*$%&|<>"
-_WHITE = " \t\n\x0b\f\r"
+SYMBOLS = "[#*$%&|<>]+"
 
 
 def words_of(text: Column) -> Column:
@@ -22,18 +21,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
 
 
-def bare(text: Column) -> Column:
-    return F.translate(text, _WHITE, "")
+def has_word(text: Column) -> Column:
+    return F.rlike(text, F.lit(r"[^\x20\x09-\x0D]"))
 
 
 def lines_of(text: Column) -> Column:
     """The lines that hold a word."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: bare(line) != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), has_word)
 
 
 def normal(line: Column) -> Column:
     """A line in lower case, with one space between words."""
-    return F.trim(F.regexp_replace(F.lower(line), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*", " "))
 
 
 def repeated_words(words: Column, windows: Column, width: int = WINDOW) -> Column:
@@ -65,8 +64,8 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn(windows, hashes)
     found = {
         "n_words": F.size(words),
-        "word_chars": F.char_length(bare(t)),
-        "n_symbols": F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, "")),
+        "word_chars": F.char_length(F.regexp_replace(t, f"{SPACE}+", "")),
+        "n_symbols": F.char_length(t) - F.char_length(F.regexp_replace(t, SYMBOLS, "")),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": repeated_words(F.col(words), F.col(windows)),
     }
