@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and holds at most this many bytes.
@@ -99,3 +99,28 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         found = maps.pop().join(found.toDF("to", "root"), "to", "left")
         found = found.select("node", F.coalesce("root", "to").alias("root"))
     return scratch.write(found)
+
+
+def joined(postings: DataFrame, fits, alike, scratch: Scratch, chunk: int = 128) -> DataFrame:
+    """(node, root) of the nodes linked to others, from postings (feature, node, n): features of nodes of size n.
+
+    Linked are the nodes that share a feature, whose sizes fits(n, n) accepts, and that
+    alike, given pairs (a, b), leaves. Each feature's first node meets the others; of the
+    rest only pairs that are not connected yet are compared. A feature's nodes are
+    gathered in chunks, so a large one is many rows of work and not one.
+    """
+    bucket = Window.partitionBy("feature")
+    shared = postings.withColumn("times", F.count(F.lit(1)).over(bucket)).withColumn("first", F.min(F.struct("node", "n")).over(bucket))
+    shared = scratch.write(shared.where("times > 1").drop("times"))
+    star = shared.where((F.col("first.node") != F.col("node")) & fits(F.col("first.n"), F.col("n")))
+    links = scratch.write(alike(scratch.write(star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())))
+    found = components(links, scratch)
+    placed = shared.drop("first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = placed.withColumn("mixed", F.min("root").over(bucket) != F.max("root").over(bucket)).where("mixed").drop("mixed")
+    open_ = scratch.write(open_.withColumn("chunk", F.floor((F.row_number().over(bucket.orderBy("node")) - 1) / chunk).cast("int")))
+    held = open_.groupBy("feature", "chunk").agg(F.collect_list(F.struct("node", "n", "root")).alias("members"))
+    meets = open_.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunk"))))
+    others = F.filter("members", lambda m: (m["node"] < F.col("node")) & (m["root"] != F.col("root")) & fits(m["n"], F.col("n")))
+    rest = meets.join(held, ["feature", "chunk"]).select(F.explode(others).alias("m"), "node").select(F.col("m.node").alias("a"), F.col("node").alias("b"))
+    more = scratch.write(alike(scratch.write(rest.distinct())))
+    return components(links.unionAll(more), scratch) if more.limit(1).count() else found

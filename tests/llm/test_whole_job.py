@@ -1,10 +1,14 @@
 """Cases that earlier versions of the text operators left out."""
 
 import random
+import re
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from skein.llm import linededup
+from test_native_operators import distance
+
 
 def table(spark, path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path))
@@ -36,3 +40,41 @@ def test_near_dedup_stage_links_all_of_jaccard_four_fifths(spark, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").select("doc_id").collect()}
     assert got == {i for i in range(len(texts)) if up[i] == i} and len(got) < len(texts) - 30
     assert corpus_pipeline.near_dedup(spark, df.where(F.lit(False)), "").count() == 0
+
+
+def brute_removed(texts):
+    """The lines that go, by row number: edit similarity in characters alone decides."""
+    norm = lambda s: re.sub(r"[\x20\t\x0b\f\r]+", " ", re.sub("[1-9]", "0", re.sub(r"[!-/:-@\[-`{-~]+", "", s.lower()))).strip(" ")
+    place = [(r, i, norm(s)) for r, text in enumerate(texts) for i, s in enumerate(text.split("\n")) if norm(s)]
+    lines = list(dict.fromkeys(p[2] for p in place))
+    root = {s: s for s in lines}
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            longer = max(len(a), len(b))
+            if min(a.count(" "), b.count(" ")) >= 4 and abs(len(a) - len(b)) <= longer // 5 and root[a] != root[b] and distance(a, b) <= longer // 5:
+                old, new = root[a], root[b]
+                root = {s: new if r == old else r for s, r in root.items()}
+    first, gone = {}, {}
+    for r, i, s in place:
+        if first.setdefault(root[s], (r, i)) != (r, i):
+            gone.setdefault(r, []).append(i)
+    return gone
+
+
+def test_lines_of_edit_similarity_four_fifths_are_linked(spark, tmp_path):
+    rnd = random.Random(22)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 8)))
+    pool = [[word() for _ in range(n)] for n in (5, 5, 6, 8, 10, 10, 14, 20, 30, 45)]
+    texts = ["alpha beta gamma delta epsilon\nalphx beta gamma deltx epsilon\none two\none twx"]
+    for _ in range(60):
+        lines = []
+        for _ in range(2):
+            words = list(rnd.choice(pool))
+            for _ in range(rnd.randint(0, len(words) // 5)):
+                at = rnd.randrange(len(words))
+                words[at : at + 1] = rnd.choice([[word()], [words[at], word()], [], [words[at] + "q"]])
+            lines.append(" ".join(words))
+        texts.append("\n".join(lines))
+    df = table(spark, tmp_path / "d", [(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.removed_lines for r in linededup.dedup_lines(df, "text").collect() if r.removed_lines}
+    assert got == brute_removed(texts) and got[0] == [1]
