@@ -80,19 +80,16 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
 def frequent_lines(df: DataFrame, text: str, host: Column, least: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
     """(host, line): hashes of normalised lines in too many distinct documents of a host.
 
-    Copies of a document are one document here: of the documents that have a line, those
-    with the same least hash of another line count once. That holds for exact copies, and
-    for near copies as likely as they share lines. Counts are partial first, so a line of
-    a third of all documents is a row for each task.
+    Documents with the same set of normalised lines are one document here, all others
+    are distinct; near copies are left to the dedup stages. Counts are partial first, so
+    a line of a third of all documents is a row for each task.
     """
     hashed = F.array_distinct(F.transform(lines_of(F.col(text)), lambda x: F.xxhash64(normal(x))))
     docs = df.select(host.alias("host"), hashed.alias("hashes")).where(F.size("hashes") > 0)
-    docs = docs.select("host", "hashes", F.array_min("hashes").alias("first"))
-    docs = docs.select("*", F.coalesce(F.array_min(F.array_remove("hashes", F.col("first"))), "first").alias("second"))
-    hosts = docs.groupBy("host").agg(F.count_distinct("first").alias("docs"))
-    lines = docs.select("host", F.explode("hashes").alias("line"), "first", "second")
-    lines = lines.select("host", "line", F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("of"))
-    lines = lines.groupBy("host", "line").agg(F.count_distinct("of").alias("n"))
+    docs = docs.select("host", "hashes", F.xxhash64(F.sort_array("hashes")).alias("doc"))
+    hosts = docs.groupBy("host").agg(F.count_distinct("doc").alias("docs"))
+    lines = docs.select("host", F.explode("hashes").alias("line"), "doc")
+    lines = lines.groupBy("host", "line").agg(F.count_distinct("doc").alias("n"))
     lines = lines.where(F.col("n") > least)
     return lines.join(hosts, "host").where(F.col("n") > F.col("docs") * share).select("host", "line")
 

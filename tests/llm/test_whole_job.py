@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from skein.llm import linededup
+from skein.llm import linededup, quality
 from test_native_operators import distance
 
 
@@ -78,3 +78,12 @@ def test_lines_of_edit_similarity_four_fifths_are_linked(spark, tmp_path):
     df = table(spark, tmp_path / "d", [(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.removed_lines for r in linededup.dedup_lines(df, "text").collect() if r.removed_lines}
     assert got == brute_removed(texts) and got[0] == [1]
+
+
+def test_template_lines_of_distinct_documents_are_frequent(spark, tmp_path):
+    template = [f"banner {k} " + " ".join(f"t{k}x{j}" for j in range(6)) for k in range(10)]
+    rows = [(i, "\n".join([*template, " ".join(f"own{i}x{j}" for j in range(30))]), "h") for i in range(100)]
+    df = table(spark, tmp_path / "d", rows + rows[:5], "doc_id long, text string, source string")
+    found = quality.frequent_lines(df, "text", F.col("source"))
+    want = {r[0] for r in spark.createDataFrame([(t,) for t in template], "t string").select(F.xxhash64("t")).collect()}
+    assert {r.line for r in found.collect()} == want
