@@ -20,6 +20,8 @@ FOUND = "id"
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 3
 #: Words before an identifier that make a pattern when none of them is a label (a word that ends in : or =).
 WORDS_BEFORE = 3
+#: Words after a label without an identifier by which such places are told apart.
+WORDS_AFTER = 3
 
 _DIGIT = re.compile("[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -92,17 +94,18 @@ def _before(text: str, start: int) -> str | None:
     return " ".join(words[-WORDS_BEFORE:]) if len(words) >= WORDS_BEFORE else None
 
 
-def occurrences(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int | None, int, int, bool]]:
-    """(pattern, instance, start, end, seed) for identifiers in context: base spans are seeds, others may be found.
+def occurrences(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, int, bool, bool]]:
+    """(pattern, instance, start, end, seed, miss) for identifiers in context: base spans are seeds, others may be found.
 
-    A label that no identifier follows counts against its pattern: its instance is None.
+    A label that no identifier follows is a miss and counts against its pattern: its
+    instance is the hash of the next words of the line.
     """
     taken = sorted(s for k in KINDS for s in spans[k])
     out = []
     for start, end in taken:
         pattern = _before(text, start)
         if pattern:
-            out.append((pattern, _instance(text[start:end]), start, end, True))
+            out.append((pattern, _instance(text[start:end]), start, end, True, False))
     at = 0
     seen = set()
     for m in _identifiers(text):
@@ -113,17 +116,24 @@ def occurrences(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tupl
             continue
         pattern = _before(text, start)
         if pattern:
-            out.append((pattern, _instance(m[0]), start, end, False))
+            out.append((pattern, _instance(m[0]), start, end, False, False))
             seen.add(start)
     seeds = {s for s, _ in taken}
     for m in _LABEL.finditer(text):
         if m.end() not in seen and m.end() not in seeds:
             pattern = _before(text, m.end())
             if pattern:
-                out.append((pattern, None, m.end(), m.end(), False))
+                out.append((pattern, _after(text, m.end()), m.end(), m.end(), False, True))
     return out
 
 
+def _after(text: str, start: int) -> int:
+    """A hash of the next words of a place's line."""
+    end = text.find("\n", start, start + 120)
+    words = text[start : start + 120 if end < 0 else end].lower().split()[:WORDS_AFTER]
+    return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), 7) - (1 << 63)
+
+
 def _identifiers(text: str) -> Iterator[re.Match]:
     """Matches of _IDENTIFIER with at least four digits, or that begin with @; only looked for around digits and @."""
     end = 0
@@ -147,7 +157,7 @@ def _instance(value: str) -> int:
     return xxhash.xxh64_intdigest("".join(c for c in value.lower() if c.isalnum()).encode(), 7) - (1 << 63)
 
 
-_OCCURRENCE = pa.struct([("pattern", pa.string()), ("instance", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_())])
+_OCCURRENCE = pa.struct([("pattern", pa.string()), ("instance", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("miss", pa.bool_())])
 
 
 def scan(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -165,31 +175,31 @@ def scan(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                     value = value or ""
                     spans = base_spans(value)
                     base = spans_text(spans)
-                    found = [dict(zip(("pattern", "instance", "start", "end", "seed"), x)) for x in occurrences(value, spans)]
+                    found = [dict(zip(("pattern", "instance", "start", "end", "seed", "miss"), x)) for x in occurrences(value, spans)]
                     rows.append((*(len(spans[k]) for k in KINDS), base, hashlib.sha256(base.encode()).hexdigest(), found))
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(_OCCURRENCE)]
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], [*part.schema.names[: len(keep)], *names])
 
-    fields = [*(f"n_{k} long" for k in KINDS), "base string, base_sha256 string, contexts array<struct<pattern:string,instance:long,start:int,end:int,seed:boolean>>"]
+    fields = [*(f"n_{k} long" for k in KINDS), "base string, base_sha256 string, contexts array<struct<pattern:string,instance:long,start:int,end:int,seed:boolean,miss:boolean>>"]
     return kept.mapInArrow(work, f"{head}, {', '.join(fields)}")
 
 
 def bootstrap(contexts: DataFrame, scratch: Scratch) -> DataFrame:
     """Patterns that may find identifiers, by scoring the graph of patterns and instances.
 
-    contexts: (pattern, instance, seed) of every occurrence. Seeds have the score 1, other
+    contexts: (pattern, instance, seed, miss) of every occurrence. Seeds have the score 1, other
     instances the noisy-or of their patterns' scores; a pattern has the mean score of its
-    distinct instances, each label without an identifier counting as an instance of
-    score 0 and one such more for smoothing. Copies of a document add nothing: only
-    distinct instances count. After ROUNDS the patterns of at least CONFIDENCE with
+    distinct instances, each miss (a label without an identifier), told apart by the
+    words after it, counting as an instance of score 0 and one such more for smoothing.
+    Copies of a document add nothing: only distinct instances and misses count. After ROUNDS the patterns of at least CONFIDENCE with
     SUPPORT distinct seeds are left.
     """
-    pairs = scratch.write(contexts.where("instance is not null").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    pairs = scratch.write(contexts.where("not miss").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     # An identifier that is a seed anywhere is a seed everywhere.
     seeds = pairs.where("seed").select("instance").distinct().withColumn("known", F.lit(True))
     pairs = scratch.write(pairs.join(seeds, "instance", "left").select("pattern", "instance", F.coalesce("known", F.lit(False)).alias("seed")))
-    misses = scratch.write(contexts.where("instance is null").groupBy("pattern").agg(F.count(F.lit(1)).alias("misses")))
+    misses = scratch.write(contexts.where("miss").groupBy("pattern").agg(F.count_distinct("instance").alias("misses")))
     # Without a seed a pattern scores what its instances get from others; without any other instance it finds nothing.
     scores = pairs.select("instance", F.col("seed").cast("double").alias("score")).distinct()
     for _ in range(ROUNDS):
@@ -210,7 +220,7 @@ def find(df: DataFrame, row: str, text: str, keep: list[str], scratch: Scratch)
     scanned = scratch.write(scan(df, text, [row, *keep]))
     contexts = scanned.select(row, F.explode("contexts").alias("c")).select(row, "c.*")
     patterns = scratch.write(bootstrap(contexts, scratch))
-    open_ = contexts.where("not seed and instance is not null")
+    open_ = contexts.where("not seed and not miss")
     hits = open_.join(sized(patterns, 200), "pattern").select(row, "start", "end").distinct()
     found = hits.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("added"))
     return scanned, scratch.write(found)

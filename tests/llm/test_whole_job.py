@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from skein.llm import linededup, quality
+from skein.llm import linededup, pii, quality
 from test_native_operators import distance
 
 
@@ -87,3 +87,11 @@ def test_template_lines_of_distinct_documents_are_frequent(spark, tmp_path):
     found = quality.frequent_lines(df, "text", F.col("source"))
     want = {r[0] for r in spark.createDataFrame([(t,) for t in template], "t string").select(F.xxhash64("t")).collect()}
     assert {r.line for r in found.collect()} == want
+
+
+def test_copies_of_a_label_without_identifier_weigh_once(spark, tmp_path):
+    rows = [(i, f"customer {i} has tel: {'+1 (988) 555-%04d' % i if i % 3 else '988 555 %04d' % i} since 1999") for i in range(60)]
+    rows += [(1000 + i, "for orders tel: see below on this page") for i in range(400)]
+    df = table(spark, tmp_path / "d", rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_pii(df, "text", ["doc_id"]).collect()}
+    assert all("id:" in found[i] for i in range(0, 60, 3)) and not found[1000]
