@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,22 +17,33 @@ BROADCAST_BYTES = 48 << 20
 SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Folders of local sessions that have none set, by application.
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage: spark.checkpoint.dir of the session.
 
-    Only where it is unset and the session is local, a temporary folder is made and set.
+    Only where it is unset and the session is local, a temporary folder is made; it is kept here and not in the session's settings.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN_FOLDERS.get(context.applicationId)
+        if not found:
+            found = _OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="skein-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder. They survive lost executors and cut lineage."""
+    """Tables written to the shared folder. They survive lost executors and cut lineage.
+
+    drop() removes a table that nothing reads any more. close() removes all of them, once the operator's result,
+    which reads some of them, was written or collected. An operator that is given a Scratch leaves that to its caller.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -41,17 +54,33 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        found.scratch_path = path
+        return found
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that write() returned."""
+        for t in tables:
+            self._delete(t.scratch_path)
+
+    def close(self) -> None:
+        self._delete(self.root)
 
 
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Adds a long that is unique for each row.
+def with_row_id(df: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """Adds a value that is unique for each row and the same whenever the result is read.
 
-    The same input partition gives the same ids again as long as df reads files
-    (or written tables) without a shuffle in between; operators that read their
-    input more than once rely on that, and so take tables as they were read.
+    Rows of a file format that numbers them (Parquet) are known by file and place there, whatever splits a scan makes.
+    Any other df is written once, with a number for each row.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput()
+    if "_metadata" not in df.columns and any("row_index" in hidden.apply(i).dataType().catalogString() for i in range(hidden.size())):
+        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    return scratch.write(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -62,13 +91,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def sized(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """df, to be broadcast if its counted rows fit into BROADCAST_BYTES; else it joins by a shuffle.
+def sized(df: DataFrame, row_bytes: int, rows: int | None = None, array: str | None = None, item_bytes: int = 8) -> DataFrame:
+    """df, to be broadcast if its counted rows, and the counted items of their column array, fit into BROADCAST_BYTES; else it joins by a shuffle.
 
     df must be cheap to count: a written table.
     """
+    items = 0
+    if array:
+        rows, items = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(array).cast("long")), F.lit(0))).first()
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if rows * row_bytes + items * item_bytes <= BROADCAST_BYTES else df
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:

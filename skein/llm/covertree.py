@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Scratch, components, fresh, with_row_id
+from skein.llm.common import Scratch, components
 
 #: Least cosine of a link in the query.
 COSINE = 0.98
@@ -191,7 +191,7 @@ def near_vectors(df: DataFrame, key: str, vector: str, label: str, cosine: float
     spark = df.sparkSession
     scratch = scratch or Scratch(spark, "vectors")
     base = df.select(F.col(key).alias("__key"), F.col(vector).alias("__vector"), F.col(label).alias("__label"))
-    base = scratch.write(with_row_id(base, "__row"))
+    base = scratch.write(base.withColumn("__row", F.monotonically_increasing_id()))
     doubles = F.transform("__vector", lambda x: x.cast("double"))
     good = base.where(F.col("__label").isNotNull() & F.col("__vector").isNotNull() & (F.size("__vector") > 0))
     good = good.where(~F.exists("__vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))

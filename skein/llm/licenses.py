@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Scratch, fresh, with_row_id
+from skein.llm.common import Scratch, fresh
 
 #: Words of a shingle (a shorter template is one shingle), and the least share of a template's shingles in a window.
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -103,7 +103,7 @@ def scan_licenses(df: DataFrame, text: str, keep: list[str], templates: dict[str
         some = some | low.contains(w)
     # Written once: every class of templates reads these words, and most texts have no anchor.
     scratch = scratch or Scratch(spark, "licenses")
-    docs = with_row_id(df.select(*keep, text), row).where(some).withColumn("__words", words_of(F.col(text))).drop(text)
+    docs = df.select(*keep, text).withColumn(row, F.monotonically_increasing_id()).where(some).withColumn("__words", words_of(F.col(text))).drop(text)
     docs = scratch.write(docs)
     classes: dict[tuple[int, int], dict[str, str]] = {}
     for name, t in templates.items():

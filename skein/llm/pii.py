@@ -59,7 +59,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
         at = text.find("@", max(at + 1, end))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split(".")):
+            if all(len(x) < 4 and int(x or "0") < 256 for x in (part.lstrip("0") for part in m[0].split("."))):
                 out["ip"].append(m.span())
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:
@@ -237,9 +237,9 @@ def find_pii(df: DataFrame, text: str, keep: list[str], scratch: Scratch | None
     """
     scratch = scratch or Scratch(df.sparkSession, "pii")
     row = fresh(df, "row_id")
-    scanned, found = find(with_row_id(df.select(*keep, text), row), row, text, keep, scratch)
+    scanned, found = find(df.select(*keep, text).withColumn(row, F.monotonically_increasing_id()), row, text, keep, scratch)
     added = F.array_join(F.transform("added", lambda s: F.concat_ws(":", F.lit(FOUND), s["start"], s["end"])), ",")
-    joined = scanned.join(sized(found, 64), row, "left")
+    joined = scanned.join(sized(found, 64, array="added", item_bytes=48), row, "left")
     spans = F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif(added, F.lit("")))
     return joined.select(*keep, *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
 
@@ -251,9 +251,9 @@ def redact(df: DataFrame, text: str, scratch: Scratch | None = None) -> DataFram
     """
     scratch = scratch or Scratch(df.sparkSession, "pii")
     row, more = fresh(df, "row_id"), fresh(df, "added_spans")
-    numbered = with_row_id(df, row)
+    numbered = with_row_id(df, row, scratch)
     _, found = find(numbered, row, text, [], scratch)
-    joined = numbered.join(sized(found.withColumnRenamed("added", more), 64), row, "left")
+    joined = numbered.join(sized(found.withColumnRenamed("added", more), 64, array=more, item_bytes=48), row, "left")
 
     @F.pandas_udf("string")
     def clean(texts, extra):

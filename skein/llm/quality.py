@@ -124,9 +124,9 @@ def quality(df: DataFrame, text: str, source: str, scratch: Scratch | None = Non
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     df = df.drop(*[c for c in df.columns if c.lower() in made])
     row, lost, gone = fresh(df, "row_id"), fresh(df, "words_lost"), fresh(df, "lines_gone")
-    numbered = with_row_id(df, row)
+    numbered = with_row_id(df, row, scratch)
     losses = judge(numbered, row, text, source, scratch).withColumnsRenamed({"lost": lost, "gone": gone})
-    out = base_counts(numbered, text).join(sized(losses, 200), row, "left").withColumn("kept", verdict(F.col(lost)))
+    out = base_counts(numbered, text).join(sized(losses, 64, array=gone), row, "left").withColumn("kept", verdict(F.col(lost)))
     if clean:
         rest = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normal(x))))
         out = out.withColumn(text, F.when(F.col("kept") & F.col(gone).isNotNull(), F.array_join(rest, "\n")).otherwise(F.col(text)))

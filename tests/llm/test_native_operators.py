@@ -75,16 +75,10 @@ def distance(a, b):
 
 
 def brute_lines(rows):
-    """The lines that go, by row number."""
-    import xxhash
-
+    """The lines that go, by row number: edit similarity in characters alone decides, no fingerprint."""
     norm = lambda s: re.sub(r"[\x20\t\x0b\f\r]+", " ", re.sub("[1-9]", "0", re.sub(r"[!-/:-@\[-`{-~]+", "", s.lower()))).strip(" ")
     place = [(r, i, norm(s)) for r, text in enumerate(rows) for i, s in enumerate((text or "").split("\n")) if norm(s)]
     lines = list(dict.fromkeys(p[2] for p in place))
-    print_of = {}
-    for s in lines:
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in s.split(" ")]
-        print_of[s] = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
     up = {s: s for s in lines}
 
     def find(s):
@@ -94,7 +88,8 @@ def brute_lines(rows):
 
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if min(len(a.split(" ")), len(b.split(" "))) >= 5 and (print_of[a] ^ print_of[b]).bit_count() <= 3 and distance(a.split(), b.split()) <= int(0.2 * max(len(a.split()), len(b.split())) + 1e-9):
+            longer = max(len(a), len(b))
+            if min(len(a.split(" ")), len(b.split(" "))) >= 5 and abs(len(a) - len(b)) <= longer // 5 and find(a) != find(b) and distance(a, b) <= longer // 5:
                 up[find(a)] = find(b)
     first = {}
     for r, i, s in place:
