@@ -16,8 +16,8 @@ from skein.llm.common import Scratch, fresh, sized, with_row_id
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of the spans that contexts find.
 FOUND = "id"
-#: Rounds of scoring; least score of a pattern that may find, and distinct seeds it must have.
-ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 3
+#: Rounds of scoring; least score of a pattern that may find, and distinct instances of that score it must have.
+ROUNDS, CONFIDENCE, SUPPORT = 5, 0.8, 3
 #: Words before an identifier that make a pattern when none of them is a label (a word that ends in : or =).
 WORDS_BEFORE = 3
 #: Words after a label without an identifier by which such places are told apart.
@@ -77,10 +77,22 @@ def spans_text(spans: dict[str, list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in spans[k])
 
 
+def _last_words(text: str, line: int, start: int) -> list[str]:
+    """The last words of text[line:start], more than are looked at: the window grows until it has them, so a long line is not split for each place."""
+    width = 128
+    while True:
+        at = max(line, start - width)
+        words = text[at:start].lower().split()
+        if at == line:
+            return words
+        if len(words) > WORDS_BEFORE + 2:
+            return words[1:]  # the first may be cut
+        width *= 4
+
+
 def _before(text: str, start: int) -> str | None:
     """The pattern of what stands before a place: its label, or else its last words; None without context."""
-    line = text.rfind("\n", 0, start) + 1
-    words = text[max(line, start - 120) : start].lower().split()
+    words = _last_words(text, text.rfind("\n", 0, start) + 1, start)
     if not words:
         return None
     last = words[-1].rstrip("\"'(")
@@ -137,15 +149,21 @@ def _after(text: str, start: int) -> int:
 def _identifiers(text: str) -> Iterator[re.Match]:
     """Matches of _IDENTIFIER with at least four digits, or that begin with @; only looked for around digits and @."""
     end = 0
+    token, seen, nothing = 0, 0, 0  # where the run of visible characters begins, how far it was looked at, before where no match begins
     for d in re.finditer("[0-9]+|@", text):
         if d.start() < end:
             continue
         start = d.start()
-        while start > end and not text[start - 1].isspace():
+        while start > seen and not text[start - 1].isspace():
             start -= 1
+        if start > seen or not seen:
+            token = start
+        seen = d.end()
+        start = max(token, end, nothing)
         while start < d.end():
-            m = _IDENTIFIER.search(text, start, )
+            m = _IDENTIFIER.search(text, start)
             if not m or m.start() > d.start():
+                nothing = m.start() if m else len(text)
                 break
             end = start = m.end()
             if sum("0" <= c <= "9" for c in m[0]) >= 4 or m[0][0] == "@" and len(m[0]) > 3:
@@ -192,8 +210,9 @@ def bootstrap(contexts: DataFrame, scratch: Scratch) -> DataFrame:
     instances the noisy-or of their patterns' scores; a pattern has the mean score of its
     distinct instances, each miss (a label without an identifier), told apart by the
     words after it, counting as an instance of score 0 and one such more for smoothing.
-    Copies of a document add nothing: only distinct instances and misses count. After ROUNDS the patterns of at least CONFIDENCE with
-    SUPPORT distinct seeds are left.
+    Copies of a document add nothing: only distinct instances and misses count. After ROUNDS the patterns of at least
+    CONFIDENCE are left that have SUPPORT distinct instances of at least CONFIDENCE: seeds, or found by other patterns in
+    the rounds before, so what one pattern finds makes the next one known.
     """
     pairs = scratch.write(contexts.where("not miss").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     # An identifier that is a seed anywhere is a seed everywhere.
@@ -203,7 +222,7 @@ def bootstrap(contexts: DataFrame, scratch: Scratch) -> DataFrame:
     # Without a seed a pattern scores what its instances get from others; without any other instance it finds nothing.
     scores = pairs.select("instance", F.col("seed").cast("double").alias("score")).distinct()
     for _ in range(ROUNDS):
-        rated = pairs.join(scores, "instance").groupBy("pattern").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"))
+        rated = pairs.join(scores, "instance").groupBy("pattern").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("n"), F.sum((F.col("score") >= CONFIDENCE).cast("long")).alias("seeds"))
         rated = rated.join(misses, "pattern", "left")
         rated = scratch.write(rated.select("pattern", "seeds", (F.col("mass") / (F.col("n") + F.coalesce("misses", F.lit(0)) + 1)).alias("weight")))
         doubt = F.sum(F.log1p(-F.least("weight", F.lit(0.999999))))

@@ -95,3 +95,23 @@ def test_copies_of_a_label_without_identifier_weigh_once(spark, tmp_path):
     df = table(spark, tmp_path / "d", rows, "doc_id long, text string")
     found = {r.doc_id: r.spans for r in pii.find_pii(df, "text", ["doc_id"]).collect()}
     assert all("id:" in found[i] for i in range(0, 60, 3)) and not found[1000]
+
+
+def test_found_identifiers_make_the_next_pattern_known(spark, tmp_path):
+    code = lambda i: f"AB-{71000 + 37 * i}"
+    rows = [(i, f"staff {i} email: user{i}@example.org today") for i in range(80)]
+    rows += [(100 + i, f"staff {i} email: {code(i)} today") for i in range(10)]
+    rows += [(200 + i, f"staff {i} badge: {code(i)} today") for i in range(10)] + [(300, "staff 9 badge: AB-99999 today"), (301, "door no: 88888 today")]
+    found = {r.doc_id: r.spans for r in pii.find_pii(table(spark, tmp_path / "d", rows, "doc_id long, text string"), "text", ["doc_id"]).collect()}
+    assert all("id:" in found[i] for i in [*range(100, 110), *range(200, 210), 300]) and not found[301]
+
+
+def test_long_texts_without_blanks_and_long_numbers_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("a,1," * 60_000, "1,2222," * 40_000, "x@" * 60_000, "0" * 5000 + ".1.1.1 " + "z" * 300_000, "word " * 40_000 + "9999 " * 20_000):
+        spans = pii.base_spans(text)
+        pii.occurrences(text, spans)
+    assert time.time() - began < 60
+    assert pii.base_spans("0" * 5000 + "1.1.1.1")["ip"] == [(0, 5007)]
