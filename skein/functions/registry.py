@@ -22,12 +22,13 @@ class Function:
 
 
 def substring(s: Column, start: Column, length: Column | None = None) -> Column:
-    """Characters at positions p with start <= p < start + length, counted from 1; positions before 1 shorten the result."""
-    s, start = s.cast("string"), start.cast("int")
+    """Characters at positions p with start <= p < start + length, both rounded, counted from 1; positions before 1 shorten the result."""
+    whole = lambda x: F.floor(x.cast("double") + 0.5).cast("int")  # noqa: E731  halves go up
+    s, start = s.cast("string"), whole(start)
     first = F.greatest(start, F.lit(1))
     if length is None:
         return F.substr(s, first)
-    rest = start + length.cast("int") - first
+    rest = start + whole(length) - first
     return F.when(rest > 0, F.substr(s, first, F.greatest(rest, F.lit(0)))).when(rest.isNotNull() & s.isNotNull(), F.lit(""))
 
 

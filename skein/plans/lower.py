@@ -286,6 +286,19 @@ class Lowering:
 
     def _call(self, node: A.Call, stream: Stream) -> tuple[Stream, Value]:
         name = node.name.removeprefix("fn:")
+        if name == "not" and len(node.args) == 1:
+            stream, value = self.value(node.args[0], stream)
+            return stream, Value(~F.coalesce(self._truth(value, stream), F.lit(False)))
+        if name == "round" and len(node.args) == 1:
+            stream, value = self.value(node.args[0], stream)
+            if not value.many and is_number(self._type(value, stream)):
+                # Halves go up, below zero too.
+                away = self.functions.call("round", [value.column])
+                half = (value.column < 0) & (away - value.column == -0.5)
+                return stream, Value(F.when(half, away + 1).otherwise(away).cast(self._type(Value(away), stream)))
+        if name in ("exists", "empty") and len(node.args) == 1 and self._is_source(node.args[0], stream):
+            stream, count = self._call(replace(node, name="count"), stream)
+            return stream, Value(count.column > 0 if name == "exists" else count.column == 0)
         if name in AGGREGATES and len(node.args) == 1:
             arg = node.args[0]
             if self._is_source(arg, stream) or isinstance(arg, A.Range) and not A.free_vars(arg):

@@ -125,6 +125,8 @@ def test_partition_count_does_not_matter(spark):
         ("7 idiv 2", 3), ("-7 idiv 2", -3), ("7 mod 4", 3), ("1 div 4", 0.25), ("if (1 < 2) then 'y' else 'n'", "y"),
         ("'12' cast as xs:int", 12), ("sum(())", 0), ("count((1, 2, ()))", 2), ("avg((1, 2))", 1.5), ("(1, 2) = (2, 3)", True), ("(1, 2) = 5", False),
         ("concat('a', (), 1)", "a1"), ("empty(())", True), ("exists((1, 2))", True), ("sum(1 to 4)", 10), ("max((3, 9, 4))", 9), ("math:sqrt(16)", 4.0), ("not(1 = 1)", False),
+        ("not('x')", False), ("not('')", True), ("not(())", True), ("not(0)", True), ("not((1, 2))", False), ("substring('12345', 1.5, 2.6)", "234"),
+        ("round(-2.5)", -2), ("round(2.5)", 3), ("round(-2.6)", -3), ("exists(for $i in 1 to 3 where $i > 2 return $i)", True), ("empty(for $i in 1 to 3 where $i > 3 return $i)", True),
     ],
 )
 def test_expressions(spark, expr, expected):
