@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +12,8 @@ from skein.llm.common import Scratch, fresh
 
 #: Words of a shingle (a shorter template is one shingle), and the least share of a template's shingles in a window.
 SHINGLE, CONTAINMENT = 5, 0.8
-#: Bands of one MinHash row. A window has at most three halves of its class's words, and a template more than half of
-#: them, so a match has a Jaccard similarity of about 0.25 at least: it is missed with probability 0.75 ** 48 < 1.1e-6.
-BANDS = 48
+#: Greatest probability that a window that holds a template shares none of its bands (of one MinHash row each).
+MISS = 1e-6
 
 # Public license notices: name -> text that is looked for. A parameter of scan_licenses().
 TEMPLATES = {
@@ -74,10 +74,25 @@ def shingles_of(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, F.array_distinct(F.transform(slots, lambda i: F.xxhash64(F.slice(words, i, k))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def bands_of(shingles: Column) -> Column:
+def bands_for(window: int, k: int, templates: list[str]) -> int:
+    """Bands by which windows of so many words miss a held template with a probability of at most MISS.
+
+    A window that holds CONTAINMENT of a template's n shingles, and has at most window - k + 1, has with it a Jaccard
+    similarity of at least need / (n + window - k + 1 - need); it is missed by one band with 1 less that.
+    """
+    least = 1.0
+    for text in templates:
+        words = _plain(text)
+        n = len({tuple(words[i : i + k]) for i in range(len(words) - k + 1)})
+        need = math.ceil(CONTAINMENT * n - 1e-9)
+        least = min(least, need / (n + max(0, window - k + 1 - need)))
+    return 1 if least >= 1 else math.ceil(math.log(MISS) / math.log(1 - least))
+
+
+def bands_of(shingles: Column, bands: int) -> Column:
     """For each band its least rehashed shingle, hashed with the band's number."""
     least = lambda b: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(b))))
-    return F.array(*[F.xxhash64(F.lit(b), least(b)) for b in range(BANDS)])
+    return F.array(*[F.xxhash64(F.lit(b), least(b)) for b in range(bands)])
 
 
 def scan_licenses(df: DataFrame, text: str, keep: list[str], templates: dict[str, str] | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -113,6 +128,7 @@ def scan_licenses(df: DataFrame, text: str, keep: list[str], templates: dict[str
     parts = []
     for (size, k), own in sorted(classes.items()):
         half = size // 2
+        bands = bands_for(3 * half, k, list(own.values()))
         # Starts are multiples of half; those are kept whose window of three halves holds an anchor.
         at = F.filter(F.transform("__words", lambda w, i: F.when(F.array_contains(marks, w), F.floor(i / F.lit(half)).cast("int"))), lambda i: i.isNotNull())
         starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, F.greatest(i - 1, F.lit(0)), F.greatest(i - 2, F.lit(0))))))
@@ -121,9 +137,9 @@ def scan_licenses(df: DataFrame, text: str, keep: list[str], templates: dict[str
         windows = windows.withColumn("__shingles", shingles_of(F.col("__window"), k)).where(F.size("__shingles") > 0).drop("__window")
         known = spark.createDataFrame([(name, t) for name, t in own.items()], "license string, template string")
         known = known.select("license", shingles_of(words_of(F.col("template")), k).alias("__wanted"))
-        table = known.select("license", "__wanted", F.explode(bands_of(F.col("__wanted"))).alias("__band"))
-        # BANDS rows for each template of the class: as large as the templates given, whatever the input.
-        hits = windows.withColumn("__band", F.explode(F.array_distinct(bands_of(F.col("__shingles"))))).join(F.broadcast(table), "__band")
+        table = known.select("license", "__wanted", F.explode(bands_of(F.col("__wanted"), bands)).alias("__band"))
+        # So many rows for each template of the class: as large as the templates given, whatever the input.
+        hits = windows.withColumn("__band", F.explode(F.array_distinct(bands_of(F.col("__shingles"), bands)))).join(F.broadcast(table), "__band")
         share = F.size(F.array_intersect("__shingles", "__wanted")) / F.size("__wanted")
         parts.append(hits.withColumn("containment", share).where(F.col("containment") >= CONTAINMENT).select(row, *keep, "license", "containment", F.col("word").cast("long").alias("word")))
     found = parts[0]

@@ -62,6 +62,16 @@ def test_anchors_are_in_every_match():
         assert len(bare) < licenses.CONTAINMENT * len(shingles)
 
 
+def test_bands_keep_the_bound_for_every_template():
+    for text in licenses.TEMPLATES.values():
+        words = licenses._plain(text)
+        half, k = (1 << max(2, (len(words) - 1).bit_length())) // 2, min(licenses.SHINGLE, len(words))
+        n = len({tuple(words[i : i + k]) for i in range(len(words) - k + 1)})
+        need = -(-8 * n // 10)
+        jaccard = need / (n + max(0, 3 * half - k + 1 - need))
+        assert (1 - jaccard) ** licenses.bands_for(3 * half, k, [text]) <= licenses.MISS * (1 + 1e-9)
+
+
 # 4. lines
 
 
