@@ -43,6 +43,8 @@ _MARKS = re.compile(
     r"|recommended|widget|toolbar|skip|search|form|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: What a class says an element goes with, not what it is.
+_WITH = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[-_][^\s]*", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*$""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -119,6 +121,11 @@ def blocks_of(html: str) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
+        if name in _BLOCK and stack and stack[-1][1]:
+            for i, x in enumerate(stack):  # a block ends a head whose end is missing
+                if x[0] == "head":
+                    pop_to(i)
+                    break
         if name in _BLOCK:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p" or stack[i][0] in _ENDS.get(name, ()):
@@ -138,7 +145,7 @@ def blocks_of(html: str) -> list[Block]:
             section = sections
         if m[3].strip() and name not in ("article", "main", "body", "html"):
             own = _attributes(m[3])
-            apart |= any(_MARKS.search(own.get(k, "")) is not None for k in ("class", "id", "role"))
+            apart |= any(_MARKS.search(_WITH.sub("", own.get(k, ""))) is not None for k in ("class", "id", "role"))
             apart |= "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", "")) is not None
         if name in _RAW or name in _SILENT and name in ("svg", "math"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)

@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from skein.llm import linededup, pii, quality
+from skein.llm import html, linededup, pii, quality
 from test_native_operators import distance
 
 
@@ -115,3 +115,11 @@ def test_long_texts_without_blanks_and_long_numbers_take_linear_time():
         pii.occurrences(text, spans)
     assert time.time() - began < 60
     assert pii.base_spans("0" * 5000 + "1.1.1.1")["ip"] == [(0, 5007)]
+
+
+def test_pages_without_an_end_of_head_or_with_a_class_of_what_they_have_keep_their_text():
+    prose = "This is the text of the article and it is long enough to be taken as it has many of the words that are in all of the texts of the language."
+    assert html.extract(f"<html><head><title>t</title><body><p>{prose}</p></body></html>") == prose
+    assert html.extract(f"<html><head><title>t<body><p>{prose}</p></body></html>") == prose
+    assert html.extract(f"<div class='content has-sidebar'><article><p>{prose}</p></article></div>") == prose
+    assert html.extract(f"<div class='sidebar'><p>{prose}</p></div><article><p>{prose} And more.</p></article>") == f"{prose} And more."
