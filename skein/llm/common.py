@@ -133,13 +133,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(found)
 
 
-def joined(postings: DataFrame, fits, alike, scratch: Scratch, near=None, prepare=None, chunk: int = 128) -> DataFrame:
+def joined(postings: DataFrame, fits, alike, scratch: Scratch, prepare=None, chunk: int = 128) -> DataFrame:
     """(node, root) of the nodes linked to others, from postings (feature, node, n), one row for each feature of a node; n may be a struct.
 
     Linked are the nodes that share a feature, whose n fits(n, n) accepts, and that alike, given written pairs (a, b),
-    leaves. In turn, each time only pairs of nodes that are not connected yet: a node meets the nearest, by near(n, n),
-    of its features' first nodes; the nearest of all nodes of its features; all of them. Without near it meets
-    all first nodes, then all. So a group of like nodes costs pairs in proportion to its size. Nodes with the root that most
+    leaves. A node first meets its features' first nodes, then those of all their nodes that it is not connected with
+    yet. So a group of like nodes costs pairs in proportion to its size. Nodes with the root that most
     of a feature's have do not look for others, those look for them. A feature's nodes are gathered in chunks of
     about so many, by a hash. No step holds a feature's nodes in one task: counts and firsts are partial aggregates, and joins split.
     postings is read twice. prepare is called once with (node): those that pairs may have.
@@ -148,53 +147,21 @@ def joined(postings: DataFrame, fits, alike, scratch: Scratch, near=None, prepar
     shared = scratch.write(postings.join(sized(times, 24), "feature"))
     firsts = scratch.write(shared.groupBy("feature").agg(F.min(F.struct("node", "n")).alias("first")))
     star = shared.join(sized(firsts, 48), "feature").where((F.col("first.node") != F.col("node")) & fits(F.col("first.n"), F.col("n")))
-    apart = near(F.col("first.n"), F.col("n")) if near else F.lit(0)
-    star = scratch.write(star.select(F.col("first.node").alias("a"), F.col("node").alias("b"), apart.alias("apart")).distinct())
+    star = scratch.write(star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
     if prepare:
         prepare(shared.select("node").distinct())
-    tried, found = None, None
-
-    def compare(pairs: DataFrame) -> None:
-        nonlocal tried, found
-        pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if found is not None and pairs.isEmpty():
-            return
-        links = alike(pairs)
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        if found is None:
-            found = components(scratch.write(links), scratch)
-            return
-        # The links between components so far, whose roots are the nodes now.
-        a, b = found.toDF("a", "x"), found.toDF("b", "y")
-        linked = links.join(sized(a, 32), "a", "left").join(sized(b, 32), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-        more = components(scratch.write(linked), scratch)
-        old = found.join(sized(more.toDF("root", "now"), 32), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
-        found = scratch.write(old.unionAll(more.join(found, "node", "left_anti").select("node", "root")))
-
-    def across(nearest: bool) -> DataFrame:
-        """Pairs of nodes of a feature with different roots: all of them, or the nearest one of each node that looks."""
-        placed = shared.join(sized(found, 32), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        roots = placed.groupBy("feature", "root").agg(F.count(F.lit(1)).alias("c"))
-        mixed = roots.groupBy("feature").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
-        mixed = scratch.write(mixed.where("roots > 1").select("feature", F.col("top.root").alias("major")))
-        open_ = placed.join(sized(mixed, 32), "feature").withColumn("chunks", F.ceil(F.col("times") / chunk).cast("int"))
-        open_ = scratch.write(open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
-        held = open_.groupBy("feature", "chunk").agg(F.collect_list(F.struct("node", "n", "root")).alias("members"))
-        looks = open_.where("root <> major").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        meets = looks.join(held, ["feature", "chunk"])
-        other = lambda m: (m["root"] != F.col("root")) & fits(m["n"], F.col("n"))
-        if nearest:
-            least = F.array_min(F.transform(F.filter("members", other), lambda m: F.struct(near(m["n"], F.col("n")).alias("apart"), m["node"].alias("node"))))
-            met = meets.select("node", least.alias("m")).where("m is not null").groupBy("node").agg(F.min("m").alias("m"))
-        else:
-            once = lambda m: other(m) & ((m["root"] == F.col("major")) | (m["node"] < F.col("node")))
-            met = meets.select("node", F.explode(F.filter("members", once)).alias("m"))
-        return met.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
-
-    if near:
-        compare(star.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select("m.a", "b").distinct())
-        compare(across(True))
-    else:
-        compare(star.select("a", "b"))
-    compare(across(False))
-    return found
+    links = scratch.write(alike(star))
+    found = components(links, scratch)
+    placed = shared.join(sized(found, 32), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = placed.groupBy("feature", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = roots.groupBy("feature").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+    mixed = scratch.write(mixed.where("roots > 1").select("feature", F.col("top.root").alias("major")))
+    open_ = placed.join(sized(mixed, 32), "feature").withColumn("chunks", F.ceil(F.col("times") / chunk).cast("int"))
+    open_ = scratch.write(open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
+    held = open_.groupBy("feature", "chunk").agg(F.collect_list(F.struct("node", "n", "root")).alias("members"))
+    looks = open_.where("root <> major").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    once = lambda m: (m["root"] != F.col("root")) & fits(m["n"], F.col("n")) & ((m["root"] == F.col("major")) | (m["node"] < F.col("node")))
+    rest = looks.join(held, ["feature", "chunk"]).select("node", F.explode(F.filter("members", once)).alias("m"))
+    rest = rest.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+    more = scratch.write(alike(scratch.write(rest.join(star, ["a", "b"], "left_anti"))))
+    return components(links.unionAll(more), scratch) if not more.isEmpty() else found
