@@ -138,7 +138,8 @@ def joined(postings: DataFrame, fits, alike, scratch: Scratch, prepare=None, chu
 
     Linked are the nodes that share a feature, whose n fits(n, n) accepts, and that alike, given written pairs (a, b),
     leaves. A node first meets its features' first nodes, then those of all their nodes that it is not connected with
-    yet. So a group of like nodes costs pairs in proportion to its size. Nodes with the root that most
+    yet. So a group of like nodes costs pairs in proportion to its size, but where the first nodes of all its
+    features are unlike it: then it is compared in full, by chunks. Nodes with the root that most
     of a feature's have do not look for others, those look for them. A feature's nodes are gathered in chunks of
     about so many, by a hash. No step holds a feature's nodes in one task: counts and firsts are partial aggregates, and joins split.
     postings is read twice. prepare is called once with (node): those that pairs may have.

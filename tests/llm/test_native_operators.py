@@ -229,3 +229,22 @@ def test_pipeline_stages(spark, tmp_path):
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in registry.queries()) == list(range(1, 11))
     assert [re.sub(" .*", "", name) for name, _ in corpus_pipeline.STAGES] == ["quality", "line", "SimHash", "personal", "best-fit"]
+
+
+def test_joined_links_a_large_group_by_pairs_in_proportion_to_its_size(spark, tmp_path):
+    n, compared = 2000, []
+    rows = [(f, i, i % 10) for i in range(n) for f in (1, 2 + i % 7)] + [(9, -5, 0), (9, -4, 0), (10, -3, 50)]
+    postings = spark.createDataFrame(rows, "feature int, node long, n int")
+
+    def alike(pairs):
+        compared.append(pairs.count())
+        # Three nodes are like none but each other; all others are alike.
+        return pairs.where("(a between 700 and 702) = (b between 700 and 702)")
+
+    scratch = common.Scratch(spark, "joined")
+    got = {r.node: r.root for r in common.joined(postings, lambda a, b: F.abs(a - b) < 20, alike, scratch).collect()}
+    scratch.close()
+    assert set(got) == {*range(n), -5, -4} and len(set(got.values())) == 3
+    few = {700, 701, 702}
+    assert len({got[i] for i in few}) == len({got[i] for i in range(n) if i not in few}) == 1 and got[-5] == got[-4]
+    assert sum(compared) < 12 * n
