@@ -163,11 +163,39 @@ def test_packing_is_near_its_bound(spark, monkeypatch):
 def test_evolution_beats_or_matches_best_fit():
     rnd = random.Random(5)
     for trial in range(5):
-        sizes = [rnd.randint(20, 60) for _ in range(120)]
-        bins = packing.evolve(sizes, 100, trial)
-        assert sorted(x for b in bins for x in b) == list(range(120)) and all(sum(sizes[x] for x in b) <= 100 for b in bins)
+        sizes, rng = [rnd.randint(20, 60) for _ in range(120)], np.random.default_rng(trial)
+        deme = packing.evolve(sizes, 100, packing.settle(sizes, 100, 4, rng), 12, rng)
+        for bins in deme:
+            assert sorted(x for b in bins for x in b) == list(range(120)) and all(sum(sizes[x] for x in b) <= 100 for b in bins)
         plain = packing.best_fit(sorted(range(120), key=lambda i: -sizes[i]), sizes, 100, [])
-        assert len(bins) <= len(plain)
+        assert len(deme[0]) <= len(plain)
+
+
+def test_islands_beat_best_fit_and_elites_migrate(spark, tmp_path):
+    from skein.llm.common import Scratch
+
+    rnd = random.Random(6)
+    sizes = [rnd.randint(30, 45) for _ in range(800)]
+    plain = len(packing.best_fit(sorted(range(800), key=lambda i: -sizes[i]), sizes, 100, []))
+    got = packing.pack(frame(spark, [(x,) for x in sizes], "length long"), capacity=100).collect()
+    assert sorted(r.length for r in got) == sorted(sizes)
+    assert -(-sum(sizes) // 100) <= check_packing(got, 100) < plain
+    island = packing._islander(100, 0)
+    items = frame(spark, [(0, d, False, i, x, None, None, None, None) for d in (0, 1) for i, x in enumerate(sizes)], packing._ISLAND_ROWS)
+    state = Scratch(spark, "test").write(items.groupBy("grp", "deme").applyInArrow(island, packing._ISLAND_ROWS))
+    state = state.groupBy("grp", "deme").applyInArrow(packing._islander(100, 1), packing._ISLAND_ROWS).collect()
+    elite = {(r.deme, r.guest): {x.no: x.bins[0] for x in state if (x.deme, x.guest) == (r.deme, r.guest)} for r in state}
+    assert elite[1, True] == elite[0, False] and elite[0, True] == elite[1, False]
+
+
+def test_sizes_that_fit_badly_never_meet_in_one_group(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing, "ISLAND", 100)
+    packed = packing._packed
+    monkeypatch.setattr(packing, "_packed", lambda items, *rest: (seen.append(items.groupBy("grp").count().agg({"count": "max"}).first()[0]), packed(items, *rest))[1])
+    got = packing.pack(frame(spark, [(52,)] * 1500, "length long"), capacity=100).collect()
+    assert check_packing(got, 100) == len(got) == 1500
+    assert len(seen) == 1 and seen[0] < 200
 
 
 # 5. SimHash
