@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.llm.common import others
+
 #: Bytes that the rolling hash sees, and the least, usual and greatest distance of two cuts.
 WINDOW, MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 32, 64, 512, 16384
 #: A worker forgets its chunks or pieces when they take more than this; it loses time, not results.
@@ -114,7 +116,8 @@ class ChunkCoder:
     character before white space), where every tokenization has a boundary. What lies
     between the last safe place of one chunk and the first of a later one is the join:
     it is encoded anew as one string that grows over following chunks until both its
-    ends agree with their encodings, so the result is that of the whole text.
+    ends are safe places. There it agrees with the chunks' encodings by construction, so
+    a join is encoded once and no ids are compared; the result is that of the whole text.
     """
 
     def __init__(self, path: str):
@@ -188,8 +191,10 @@ def encode_decode(df: DataFrame, text: str, path: str, keep: list[str], arrays:
 
     path names a byte-level vocabulary file that every executor can read. A null or
     empty text has no ids. Rows that repeat give repeated results, an empty table an
-    empty one; columns not in keep, whatever their names, are not read.
+    empty one; columns not in keep, whatever their names, are not read, and those in
+    keep named like a new one, in any case, are replaced. A text is taken whole, however long.
     """
+    keep = others(keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * arrays)
     kept = df.select(*keep, text)
     fields = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>", "decoded string"] * arrays
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema)

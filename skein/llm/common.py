@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and holds at most this many bytes.
@@ -91,6 +91,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def others(keep: list[str], *new: str) -> list[str]:
+    """The columns to keep without those that new ones, named alike in any case, replace."""
+    return [k for k in keep if k.lower() not in {n.lower() for n in new}]
+
+
+def inner(df: DataFrame, keep: list[str], *more: Column) -> tuple[DataFrame, list[str], list[str]]:
+    """df's columns keep under names that no operator uses, and more; those names; what turns them back."""
+    names = [f"__keep_{i}" for i in range(len(keep))]
+    return df.select(*(F.col(k).alias(n) for k, n in zip(keep, names)), *more), names, [F.col(n).alias(k) for k, n in zip(keep, names)]
+
+
 def sized(df: DataFrame, row_bytes: int, rows: int | None = None, array: str | None = None, item_bytes: int = 8) -> DataFrame:
     """df, to be broadcast if its counted rows, and the counted items of their column array, fit into BROADCAST_BYTES; else it joins by a shuffle.
 

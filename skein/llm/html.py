@@ -10,6 +10,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.llm.common import others
+
 #: Length in characters up to which a block is short, and from which one with enough stop words is good.
 SHORT, LONG = 70, 140
 #: Share of stop words of a good block and of a block that is nearly good; greatest share of linked characters.
@@ -48,6 +50,9 @@ _WITH = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[-_][^\s]*", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*$""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Elements that an end of something inside of them does not reach over.
+_PARTS = frozenset("article main body".split())
+_FORMS = re.compile(r"<(/?)(form|article|main|h1)(?=[\s/>])", re.I)
 
 
 @dataclass
@@ -64,12 +69,29 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(text)}
 
 
+def _wrapping_forms(html: str) -> set[int]:
+    """Where forms begin that wrap the page: those that hold an article, a main element or a first heading."""
+    found, open_ = set(), -1
+    for m in _FORMS.finditer(html):
+        if m[2].lower() == "form":
+            open_ = -1 if m[1] else m.start() if open_ < 0 else open_  # forms do not nest
+        elif open_ >= 0 and not m[1]:
+            found.add(open_)
+    return found
+
+
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in order. Broken markup is taken as it comes: ends that match nothing are dropped."""
     found: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # name, silent, apart, section
     parts: list[str] = []
     linked, anchors, sections, heading = 0, 0, 0, False
+    where: dict[str, list[int]] = {}  # places in the stack, by name; of blocks and of parts too
+    blocks, divided = where.setdefault("#block", []), where.setdefault("#part", [])
+    wrapping, endless = _wrapping_forms(html), set()
+
+    def kinds(name: str) -> list[list[int]]:
+        return [where.setdefault(name, []), *[blocks] * (name in _BLOCK), *[divided] * (name in _PARTS)]
 
     def close() -> None:
         nonlocal linked, heading
@@ -85,6 +107,9 @@ def blocks_of(html: str) -> list[Block]:
         if any(x[0] in _BLOCK for x in stack[at:]):
             close()
         anchors -= sum(x[0] == "a" for x in stack[at:])
+        for x in stack[at:]:
+            for places in kinds(x[0]):
+                places.pop()
         del stack[at:]
 
     def text(raw: str) -> None:
@@ -102,37 +127,31 @@ def blocks_of(html: str) -> list[Block]:
             text(html[at:])
             break
         text(html[at : m.start()])
-        at = m.end()
+        began, at = m.start(), m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
         if m[1]:
-            if name == "br" or name == "p" and not any(x[0] == "p" for x in stack):
+            places = where.get(name)
+            if name == "br" or name == "p" and not places:
                 parts.append(" ") if name == "br" else close()
-                continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
+            elif places:
+                i = places[-1]
                 # An inline end does not reach over a block, nor a block's end over the part of the page it is in.
-                if name not in _BLOCK and stack[i][0] in _BLOCK or name not in _APART | {"article", "main", "body", "html"} and stack[i][0] in ("article", "main", "body"):
-                    break
+                over_block = name not in _BLOCK and blocks and blocks[-1] > i
+                over_part = name not in _APART | _PARTS | {"html"} and divided and divided[-1] > i
+                if not over_block and not over_part:
+                    pop_to(i)
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name in _BLOCK and stack and stack[-1][1]:
-            for i, x in enumerate(stack):  # a block ends a head whose end is missing
-                if x[0] == "head":
-                    pop_to(i)
-                    break
+            if where.get("head"):  # a block ends a head whose end is missing
+                pop_to(where["head"][0])
         if name in _BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in _ENDS.get(name, ()):
-                    pop_to(i)
-                    break
-                if stack[i][0] in _BLOCK:
-                    break
+            if blocks and (stack[blocks[-1]][0] == "p" or stack[blocks[-1]][0] in _ENDS.get(name, ())):
+                pop_to(blocks[-1])
             close()
             heading = name in _HEADING
         elif name in ("img", "input", "wbr"):
@@ -143,18 +162,23 @@ def blocks_of(html: str) -> list[Block]:
         if name in ("article", "main") and not apart:
             sections += 1
             section = sections
-        if m[3].strip() and name not in ("article", "main", "body", "html"):
+        wraps = name == "form" and began in wrapping
+        if m[3].strip() and name not in _PARTS and name != "html" and not wraps:
             own = _attributes(m[3])
             apart |= any(_MARKS.search(_WITH.sub("", own.get(k, ""))) is not None for k in ("class", "id", "role"))
             apart |= "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", "")) is not None
         if name in _RAW or name in _SILENT and name in ("svg", "math"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            if not end:
+                endless.add(name)
             at = end.end() if end else len(html) if name in ("script", "style") else at
             if end:
                 continue
             if name in ("script", "style"):
                 break
-        stack.append((name, silent or name in _SILENT, apart or name in _APART, section))
+        for places in kinds(name):
+            places.append(len(stack))
+        stack.append((name, silent or name in _SILENT, apart or name in _APART and not wraps, section))
         anchors += name == "a"
     close()
     return found
@@ -221,9 +245,10 @@ def extract_pages(df: DataFrame, html: str, keep: list[str], stop_words: frozens
     """keep, text and n_chars (code points) of every row.
 
     A null or empty page gives an empty text; repeated rows stay; an empty table gives
-    an empty one; columns not in keep, whatever their names, are not read. A page is
-    taken whole, however long.
+    an empty one; columns not in keep, whatever their names, are not read, and text and
+    n_chars in keep, in any case, are replaced. A page is taken whole, however long, in linear time.
     """
+    keep = others(keep, "text", "n_chars")
     kept = df.select(*keep, html)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
 

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Scratch, fresh
+from skein.llm.common import Scratch, inner, others
 
 #: Words of a shingle (a shorter template is one shingle), and the least share of a template's shingles in a window.
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -104,21 +104,23 @@ def scan_licenses(df: DataFrame, text: str, keep: list[str], templates: dict[str
     thirds, so each occurrence lies in one whole. Texts, and then windows, without an
     anchor word cannot hold a template and are left out first. A null or empty text
     holds none; repeated rows give repeated results; an empty table gives an empty one.
-    Templates without a word are an error. word is where the best window begins, from 0.
+    Templates without a word are an error. word is where the best window begins, from 0;
+    of equally good windows the first. Columns in keep named like a new one, in any case, are replaced.
     """
     templates = TEMPLATES if templates is None else templates
     if any(not _plain(t) for t in templates.values()):
         raise ValueError("a template needs a word")
     spark = df.sparkSession
-    row = fresh(df, "row_id")
+    row = "row_id"
     words = anchors(templates)
-    low = F.lower(F.col(text))
+    low = F.lower(F.col("__text"))
     some = F.lit(False)
     for w in words:
         some = some | low.contains(w)
     # Written once: every class of templates reads these words, and most texts have no anchor.
     scratch = scratch or Scratch(spark, "licenses")
-    docs = df.select(*keep, text).withColumn(row, F.monotonically_increasing_id()).where(some).withColumn("__words", words_of(F.col(text))).drop(text)
+    docs, names, back = inner(df, others(keep, "license", "containment", "word"), F.col(text).alias("__text"))
+    docs = docs.withColumn(row, F.monotonically_increasing_id()).where(some).withColumn("__words", words_of(F.col("__text"))).drop("__text")
     docs = scratch.write(docs)
     classes: dict[tuple[int, int], dict[str, str]] = {}
     for name, t in templates.items():
@@ -141,13 +143,13 @@ def scan_licenses(df: DataFrame, text: str, keep: list[str], templates: dict[str
         # So many rows for each template of the class: as large as the templates given, whatever the input.
         hits = windows.withColumn("__band", F.explode(F.array_distinct(bands_of(F.col("__shingles"), bands)))).join(F.broadcast(table), "__band")
         share = F.size(F.array_intersect("__shingles", "__wanted")) / F.size("__wanted")
-        parts.append(hits.withColumn("containment", share).where(F.col("containment") >= CONTAINMENT).select(row, *keep, "license", "containment", F.col("word").cast("long").alias("word")))
+        parts.append(hits.withColumn("containment", share).where(F.col("containment") >= CONTAINMENT).select(row, *names, "license", "containment", F.col("word").cast("long").alias("word")))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
     best = F.max(F.struct(F.col("containment"), -F.col("word"))).alias("__best")
-    rest = [F.first(F.col(f"`{c}`")).alias(c) for c in keep]
-    return found.groupBy(row, "license").agg(best, *rest).select(*keep, "license", F.col("__best")["containment"].alias("containment"), (-F.col("__best")["col2"]).alias("word"))
+    rest = [F.first(F.col(f"`{c}`")).alias(c) for c in names]
+    return found.groupBy(row, "license").agg(best, *rest).select(*back, "license", F.col("__best")["containment"].alias("containment"), (-F.col("__best")["col2"]).alias("word"))
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import Scratch, fresh, sized
+from skein.llm.common import Scratch, fresh, others, sized
 
 CAPACITY, END_ID = 4096, 1
 #: A worker forgets its words beyond this number; it loses time, not results.
@@ -91,7 +91,11 @@ def words_of(path: str) -> Words:
 
 
 def pieces(df: DataFrame, text: str, path: str, keep: list[str], capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
-    """Every row's token ids, then end_id, in pieces of at most capacity: keep, piece, start, length, ids_crc32 (and ids)."""
+    """Every row's token ids, then end_id, in pieces of at most capacity: keep, piece, start, length, ids_crc32 (and ids).
+
+    Columns in keep named like a new one, in any case, are replaced.
+    """
+    keep = others(keep, "piece", "start", "length", "ids_crc32", *["ids"] * ids)
     kept = df.select(*keep, text)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
     end = np.array([end_id], "<u4").tobytes()

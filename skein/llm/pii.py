@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Scratch, fresh, sized, with_row_id
+from skein.llm.common import Scratch, fresh, inner, others, sized, with_row_id
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of the spans that contexts find.
@@ -251,16 +251,18 @@ def find_pii(df: DataFrame, text: str, keep: list[str], scratch: Scratch | None
     spans lists kind:start:end (code points, end exclusive) of the base kinds in their
     order and then of the kind id: identifiers that only their context shows. A null or
     empty text has no span and the digest of the empty string. Repeated rows stay; an
-    empty table gives an empty one; columns not in keep are not read. df is a table as it
-    was read.
+    empty table gives an empty one; columns not in keep are not read, and those in keep
+    named like a new one, in any case, are replaced. df is a table as it was read.
     """
     scratch = scratch or Scratch(df.sparkSession, "pii")
-    row = fresh(df, "row_id")
-    scanned, found = find(df.select(*keep, text).withColumn(row, F.monotonically_increasing_id()), row, text, keep, scratch)
+    keep = others(keep, *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
+    plain, names, back = inner(df, keep, F.col(text).alias("__text"))
+    row = "row_id"
+    scanned, found = find(plain.withColumn(row, F.monotonically_increasing_id()), row, "__text", names, scratch)
     added = F.array_join(F.transform("added", lambda s: F.concat_ws(":", F.lit(FOUND), s["start"], s["end"])), ",")
     joined = scanned.join(sized(found, 64, array="added", item_bytes=48), row, "left")
     spans = F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif(added, F.lit("")))
-    return joined.select(*keep, *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
+    return joined.select(*back, *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
 
 
 def redact(df: DataFrame, text: str, scratch: Scratch | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import html, linededup, pii, quality
@@ -123,3 +124,36 @@ def test_pages_without_an_end_of_head_or_with_a_class_of_what_they_have_keep_the
     assert html.extract(f"<html><head><title>t<body><p>{prose}</p></body></html>") == prose
     assert html.extract(f"<div class='content has-sidebar'><article><p>{prose}</p></article></div>") == prose
     assert html.extract(f"<div class='sidebar'><p>{prose}</p></div><article><p>{prose} And more.</p></article>") == f"{prose} And more."
+
+
+def test_a_form_around_the_page_is_not_apart_but_one_in_it_is():
+    prose = "This is the text of the article and it is long enough to be taken as it has many of the words that are in all of the texts of the language."
+    assert html.extract(f"<body><form id='main-form'><div><article><p>{prose}</p></article></div></form></body>") == prose
+    assert html.extract(f"<article><p>{prose}</p><form><p>{prose} Subscribe.</p></form></article>") == prose
+    assert html.extract(f"<form><p>{prose} Search.</p></form><article><p>{prose}</p></article>") == prose
+
+
+def test_ends_that_match_nothing_take_linear_time():
+    import time
+
+    began = time.time()
+    html.extract("<div>" * 50_000 + "</section>" * 50_000)
+    html.extract("<b><div>" + "<i>" * 50_000 + "</b>" * 50_000)
+    html.extract("<i>" * 50_000 + "<p>x</p>" * 50_000)
+    html.extract("<title>" * 50_000)
+    assert time.time() - began < 30
+
+
+def test_kept_columns_may_be_named_like_new_ones(spark, tmp_path):
+    from skein.llm import bpe, licenses, packing
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    names = ["doc_id", "license", "base", "n_chars", "n_email", "piece", "n_tokens", "word", "contexts", "row_id"]
+    rows = [(1, "a", "b", 7, 7, 7, 7, "w", "c", 9, "mail a.b@c.org now. Permission is hereby granted")]
+    df = table(spark, tmp_path / "d", rows, "doc_id long, license string, base string, n_chars long, n_email long, piece long, n_tokens long, word string, contexts string, row_id long, text string")
+    found = pii.find_pii(df, "text", names).first()
+    assert (found.n_email, found.base, found.contexts, found.row_id) == (1, "b", "c", 9)
+    assert html.extract_pages(df, "text", names).columns == [n for n in names if n != "n_chars"] + ["text", "n_chars"]
+    assert bpe.encode_decode(df, "text", tokenizers.path("byte_bpe_50k.json"), names).first().n_tokens != 7
+    assert packing.pieces(df, "text", tokenizers.path("word_bpe_49k.json"), names).first().piece == 0
+    assert licenses.scan_licenses(df, "text", names, {"own": "mail a b c org now permission"}).first().license == "own"
