@@ -200,6 +200,7 @@ def near_vectors(df: DataFrame, key: str, vector: str, label: str, cosine: float
     good = good.withColumn("__vector", F.transform("__vector", lambda x: x / F.col("__top")))
     norm = F.sqrt(F.aggregate("__vector", F.lit(0.0), lambda s, x: s + x * x))
     good = good.withColumn("__norm", norm).select("__row", "__label", F.size("__vector").alias("__dim"), F.transform("__vector", lambda x: x / F.col("__norm")).alias("__unit"))
+    good = scratch.write(good)
     counts = good.groupBy("__label", "__dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("__of"))
     dealt = good.join(counts, ["__label", "__dim"]).withColumn("__own", F.pmod(F.xxhash64("__row"), F.col("__of")).cast("int"))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__of") - 1)))
