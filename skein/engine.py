@@ -88,10 +88,15 @@ class Engine:
             schema = catalog.type(c.type) if c.type else None
             options = {k: v for k, v in notes.items() if k not in ("format", "location")}
             catalog.declare(c.name, Declared(notes.get("format", "csv"), notes["location"], schema, options))
-        for key, value in (("spark.sql.autoBroadcastJoinThreshold", settings.broadcast_threshold), ("spark.sql.shuffle.partitions", settings.shuffle_partitions)):
-            if value is not None:
-                self.spark.conf.set(key, str(value))
-        return Lowering(self.spark, catalog, self.functions, settings.strict, settings.range_partitions).query(inline(module))
+        confs = {"spark.sql.autoBroadcastJoinThreshold": settings.broadcast_threshold, "spark.sql.shuffle.partitions": settings.shuffle_partitions}
+        spark = self.spark
+        if any(value is not None for value in confs.values()):
+            # A session of its own, like this one but for what the query sets: it holds until the lazy plan runs, and for no other query.
+            spark = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+            for key, value in confs.items():
+                if value is not None:
+                    spark.conf.set(key, str(value))
+        return Lowering(spark, catalog, self.functions, settings.strict, settings.range_partitions).query(inline(module))
 
     def run(self, text: str, name: str = "result") -> str:
         """Writes a query's result as text into <output_dir>/<name> and returns that folder."""

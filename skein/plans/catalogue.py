@@ -6,9 +6,13 @@ to whole units, because the order of additions is not fixed.
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from skein.engine import Engine
 
@@ -179,12 +183,83 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return found
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="skein-")
+    return f"{found.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+
+
+#: What the text files hold, and the query that writes them: the empty last field makes a delimiter after the last one.
+_TEXT_TYPE = {"key": "xs:long", "cust": "xs:long", "price": "xs:double", "priority": "xs:string"}
+_TO_TEXT = "for $o in collection('orders') return { key: $o=>o_orderkey, cust: $o=>o_custkey, price: $o=>o_totalprice, priority: $o=>o_orderpriority, end: '' }"
+
+#: name -> (query over delimited text that the engine wrote, SQL). The prolog imports a schema file and declares the collection.
+TEXT_QUERIES: dict[str, tuple[str, str]] = {
+    "csv_scan": ("for $o in collection('sale') return $o", "SELECT o_orderkey AS key, o_custkey AS cust, o_totalprice AS price, o_orderpriority AS priority FROM orders"),
+    "csv_filter_projection": ("for $o in collection('sale') where $o=>price > 100000.0 return { k: $o=>key }", "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 100000.0"),
+    "csv_group": ("for $o in collection('sale') let $p := $o=>priority group by $p return { priority: $p, n: count($o) }", "SELECT o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1"),
+    "csv_join_option": (
+        "declare option skein:broadcast-threshold '-1'; for $o in collection('sale'), $c in collection('customer') where $o=>cust = $c=>c_custkey return { k: $o=>key, name: $c=>c_name }",
+        "SELECT o_orderkey AS k, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey",
+    ),
+}
+
+
+def over_text(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """The query over orders as the engine's sink wrote them, the second time in place of the first."""
+    own, folder = engine(spark, sf_dir), _folder(spark)
+    options = f"declare option skein:output-dir '{folder}'; declare option skein:delete-existing 'true'; "
+    for _ in range(2):
+        own.run(options + _TO_TEXT, "sale")
+    spark.createDataFrame([(json.dumps([{"name": "sale", "schema": _TEXT_TYPE}]),)], "value string").coalesce(1).write.text(f"{folder}/types")
+    prolog = f"import json schema namespace t=\"http://example.org\" at \"{folder}/types\"; declare %format('csv') %location('{folder}/sale') collection sale as object(t:sale); "
+    return own.query(prolog + text)
+
+
+#: name -> (query whose order counts, SQL with the same order in position).
+ORDER_QUERIES: dict[str, tuple[str, str]] = {
+    "order_position": (
+        "for $c in collection('customer') order by $c=>c_acctbal descending, $c=>c_custkey return { c: $c=>c_custkey }",
+        "SELECT c_custkey AS c, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS position FROM customer",
+    ),
+    "order_position_computed": (
+        "for $l in collection('lineitem') order by $l=>l_orderkey mod 10, $l=>l_orderkey descending, $l=>l_linenumber return { k: $l=>l_orderkey, n: $l=>l_linenumber }",
+        "SELECT l_orderkey AS k, l_linenumber AS n, row_number() OVER (ORDER BY l_orderkey % 10, l_orderkey DESC, l_linenumber) AS position FROM lineitem",
+    ),
+}
+
+
+def positioned(df: DataFrame) -> DataFrame:
+    """df with the position of every row from 1, in the order that it has. Rows are written once, with partition and place."""
+    spark = df.sparkSession
+    path = _folder(spark)
+    df.withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("__part", F.shiftright("__at", 33))
+    # A row for each partition: as many as the sort has, whatever they hold.
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
+    starts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", before.alias("__start"))
+    place = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(starts), "__part").select(*df.columns, place.alias("position"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def of(text: str):
         return lambda spark, sf_dir: engine(spark, sf_dir).query(text)
 
-    return {name: of(text) for name, (text, _) in QUERIES.items()}
+    def text_of(text: str):
+        return lambda spark, sf_dir: over_text(spark, sf_dir, text)
+
+    def order_of(text: str):
+        return lambda spark, sf_dir: positioned(engine(spark, sf_dir).query(text))
+
+    found = {name: of(text) for name, (text, _) in QUERIES.items()}
+    found |= {name: text_of(text) for name, (text, _) in TEXT_QUERIES.items()}
+    return found | {name: order_of(text) for name, (text, _) in ORDER_QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in (QUERIES | TEXT_QUERIES | ORDER_QUERIES).items() if sql}

@@ -207,3 +207,14 @@ def test_empty_input(spark):
     with warnings.catch_warnings():
         assert e.query("for $x in collection('none') let $k := $x=>k group by $k order by $k return { k: $k, s: sum($x=>v) }").collect() == []
     assert tuple(e.query("let $s := sum(collection('none')=>v), $a := avg(collection('none')=>v) return { s: $s, a: $a }").head()) == (0.0, None)
+
+
+def test_options_hold_for_their_query_alone(spark, prolog):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    join = "for $i in collection('item'), $s in collection('sale') where $i=>key = $s=>key return { k: $i=>key }"
+    engine = Engine(spark)
+    plain, sorted_ = engine.query(prolog + join), engine.query("declare option skein:broadcast-threshold '-1'; " + prolog + join)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(sorted_) and "BroadcastHashJoin" in plan(plain)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert sorted(map(tuple, sorted_.collect())) == sorted(map(tuple, plain.collect()))
