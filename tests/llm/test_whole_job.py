@@ -157,3 +157,10 @@ def test_kept_columns_may_be_named_like_new_ones(spark, tmp_path):
     assert bpe.encode_decode(df, "text", tokenizers.path("byte_bpe_50k.json"), names).first().n_tokens != 7
     assert packing.pieces(df, "text", tokenizers.path("word_bpe_49k.json"), names).first().piece == 0
     assert licenses.scan_licenses(df, "text", names, {"own": "mail a b c org now permission"}).first().license == "own"
+
+
+def test_flags_of_frequent_words_are_a_short_literal(spark):
+    lines = spark.createDataFrame([("often " * 50 + f"seldom{i}",) for i in range(100)], "line string")
+    flags = linededup.frequent_words(lines)
+    found = {r.word: r.flag for r in spark.createDataFrame([("often",), ("seldom7",)], "word string").select("word", linededup._flagged(flags, F.xxhash64("word")).alias("flag")).collect()}
+    assert found == {"often": True, "seldom7": False} and len(flags._jc.toString()) < 20_000
