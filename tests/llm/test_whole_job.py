@@ -164,3 +164,22 @@ def test_flags_of_frequent_words_are_a_short_literal(spark):
     flags = linededup.frequent_words(lines)
     found = {r.word: r.flag for r in spark.createDataFrame([("often",), ("seldom7",)], "word string").select("word", linededup._flagged(flags, F.xxhash64("word")).alias("flag")).collect()}
     assert found == {"often": True, "seldom7": False} and len(flags._jc.toString()) < 20_000
+
+
+def test_all_distinct_words_of_a_line_vote_on_its_fingerprint(spark):
+    lines = [" ".join(f"w{n}x{i}" for i in range(n)) + " twice twice" for n in (0, 3, 30, 31, 100, 509, 510, 511, 2000)]
+    votes = F.expr("transform(array_distinct(split(line, ' ')), w -> xxhash64(xxhash64(w)))")
+    df = spark.createDataFrame([(s,) for s in lines], "line string")
+    for r in df.select(votes.alias("votes"), linededup.fingerprint(linededup.hashes(F.col("line"))).alias("print")).collect():
+        assert r.print == sum(1 << k for k in range(63) if 2 * sum(v >> k & 1 for v in r.votes) > len(r.votes))
+
+
+def test_lines_that_gaps_or_words_would_set_apart_are_compared_whole(spark):
+    rnd = random.Random(23)
+    for n in (20, 220):
+        words = ["".join(rnd.choice("abcdefghij") for _ in range(10)) for _ in range(n)]
+        a, b = " ".join(["anchor", *words]), " ".join([*(w[:4] + "z" + w[5:] if i % 2 else w[:4] + "y" + w[5:] for i, w in enumerate(words)), "anchor"])
+        allowed = F.floor(F.char_length("a") * 0.2).cast("int")
+        none = linededup.frequent_words(spark.createDataFrame([("",)], "line string").where("false"))
+        found = spark.createDataFrame([(a, b)], "a string, b string").select(linededup.distance(F.col("a"), F.col("b"), none, allowed)).first()[0]
+        assert found == distance(a, b) <= len(a) // 5
