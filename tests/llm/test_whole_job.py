@@ -183,3 +183,29 @@ def test_lines_that_gaps_or_words_would_set_apart_are_compared_whole(spark):
         none = linededup.frequent_words(spark.createDataFrame([("",)], "line string").where("false"))
         found = spark.createDataFrame([(a, b)], "a string, b string").select(linededup.distance(F.col("a"), F.col("b"), none, allowed)).first()[0]
         assert found == distance(a, b) <= len(a) // 5
+
+
+def test_near_dedup_stage_goes_through_simhash_and_loses_nothing_by_it(spark, tmp_path, monkeypatch):
+    from skein.llm import shingles, simhash
+
+    rnd = random.Random(24)
+    base = [f"w{rnd.randint(0, 4000)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    for changed in (1, 1, 1, 2, 8, 9, 200):
+        words = list(base)
+        for at in rnd.sample(range(0, 400, 2), changed):
+            words[at] = f"v{rnd.randint(0, 4000)}"
+        texts.append(" ".join(words))
+    df = table(spark, tmp_path / "d", [(i, t, "en", "h", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    radii, close_pairs = [], simhash.close_pairs
+
+    def noted(distinct, radius, *more):
+        found = close_pairs(distinct, radius, *more)
+        radii.append((radius, found.count()))
+        return found
+
+    monkeypatch.setattr(simhash, "close_pairs", noted)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").select("doc_id").collect()}
+    assert got == {0, 7} and radii[0][0] == corpus_pipeline.NEAR_BITS and radii[0][1] >= 1
+    plain = shingles.similar_texts(df, "doc_id", "text")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, shingles.similar_texts(df, "doc_id", "text", radius=64 // 8).collect()))
