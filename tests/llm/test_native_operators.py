@@ -248,3 +248,34 @@ def test_joined_links_a_large_group_by_pairs_in_proportion_to_its_size(spark, tm
     few = {700, 701, 702}
     assert len({got[i] for i in few}) == len({got[i] for i in range(n) if i not in few}) == 1 and got[-5] == got[-4]
     assert sum(compared) < 12 * n
+
+
+def test_joined_compares_unlike_first_nodes_by_the_nearest_and_then_all(spark):
+    n, compared = 1000, []
+    # Of 0 to 999, all are like 0. 1000 to 1049 are like all of them but 0, 1050 is like 777 only, 1051 like none.
+    rows = [(1, i, 1 if i == 777 else 2) for i in range(n)] + [(1, n + i, 3) for i in range(52)]
+    postings = spark.createDataFrame(rows, "feature int, node long, n int")
+
+    def alike(pairs):
+        compared.append(pairs.count())
+        return pairs.where("b < 1000 or b < 1050 and a between 1 and 999 or b = 1050 and a = 777")
+
+    scratch = common.Scratch(spark, "joined")
+    found = common.joined(postings, lambda a, b: F.abs(a - b) < 20, alike, scratch, apart=lambda a, b: F.abs(a - b))
+    got = {r.node: r.root for r in found.collect()}
+    scratch.close()
+    assert set(got) == set(range(n + 51)) and len(set(got.values())) == 1
+    assert sum(compared) < 8 * n
+
+
+def test_blocks_know_their_places(spark):
+    from skein.llm.linededup import blocks, hashes
+
+    line = "ab cde f ghij ab cde kl mno p qr stu vwx yz"
+    words, flags = line.split(" "), F.array(*[F.lit(0).cast("long")] * 512)
+    found = spark.createDataFrame([(line,)], "line string").select(F.explode(blocks(F.col("line"), hashes(F.col("line")), flags)).alias("b")).select("b.*").collect()
+    pairs = [F.hash(F.lit(1), *(F.xxhash64(F.lit(w)) for w in p)) for p in zip(words, words[1:])]
+    known = list(zip(spark.range(1).select(*[p.alias(f"c{i}") for i, p in enumerate(pairs)]).first(), (sum(len(w) + 1 for w in words[:i]) for i in range(len(words)))))
+    want = {h: at if [k[0] for k in known].count(h) == 1 else None for h, at in known}
+    least = sorted(want)[:8]
+    assert {r.feature: r["at"] for r in found} == {h: want[h] for h in least} and len(found) == 8
