@@ -279,3 +279,14 @@ def test_blocks_know_their_places(spark):
     want = {h: at if [k[0] for k in known].count(h) == 1 else None for h, at in known}
     least = sorted(want)[:8]
     assert {r.feature: r["at"] for r in found} == {h: want[h] for h in least} and len(found) == 8
+
+
+def test_flags_leave_every_shared_feature(spark):
+    from skein.llm.common import _flagged
+
+    postings = spark.range(20_000).select((F.col("id") % 9_000 - 4_000).cast("int").alias("feature"), F.col("id").alias("node"))
+    times = postings.groupBy("feature").count().where("count > 2")
+    want = {r.node for r in postings.join(times, "feature", "left_semi").collect()}
+    got = _flagged(postings, times)
+    found = {r.node for r in got.collect()}
+    assert got.columns == postings.columns and want <= found and len(want) == 6_000 and len(found) < 6_100
