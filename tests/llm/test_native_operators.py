@@ -282,11 +282,25 @@ def test_blocks_know_their_places(spark):
 
 
 def test_flags_leave_every_shared_feature(spark):
-    from skein.llm.common import _flagged
+    from skein.llm.common import flagged
 
     postings = spark.range(20_000).select((F.col("id") % 9_000 - 4_000).cast("int").alias("feature"), F.col("id").alias("node"))
     times = postings.groupBy("feature").count().where("count > 2")
     want = {r.node for r in postings.join(times, "feature", "left_semi").collect()}
-    got = _flagged(postings, times)
+    got = flagged(postings, times, "feature")
     found = {r.node for r in got.collect()}
     assert got.columns == postings.columns and want <= found and len(want) == 6_000 and len(found) < 6_100
+
+
+def test_lines_without_broadcasts_are_the_same(spark, tmp_path, monkeypatch):
+    rnd = random.Random(31)
+    pool = [[f"w{rnd.randint(0, 500)}" for _ in range(n)] for n in (6, 9, 14, 25)]
+    rows = [(i, " ".join(f"x{i}" if k == rnd.randrange(40) else w for k, w in enumerate(rnd.choice(pool)))) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    df, found, calls = spark.read.parquet(str(tmp_path / "d")), [], []
+    for most in (common.CHAIN_BYTES, 0):
+        for module in (common, linededup):
+            monkeypatch.setattr(module, "CHAIN_BYTES", most)
+            monkeypatch.setattr(module, "flagged", lambda *a, f=common.flagged: calls.append(a[2]) or f(*a))
+        found.append({r.doc_id: r.removed_lines for r in linededup.dedup_lines(df, "text").collect()})
+    assert found[0] == found[1] and sum(x is not None for x in found[0].values()) > 60 and {"feature", "h"} <= set(calls)
