@@ -304,3 +304,43 @@ def test_lines_without_broadcasts_are_the_same(spark, tmp_path, monkeypatch):
             monkeypatch.setattr(module, "flagged", lambda *a, f=common.flagged: calls.append(a[2]) or f(*a))
         found.append({r.doc_id: r.removed_lines for r in linededup.dedup_lines(df, "text").collect()})
     assert found[0] == found[1] and sum(x is not None for x in found[0].values()) > 60 and {"feature", "h"} <= set(calls)
+
+
+def test_joined_looks_for_others_by_zones_and_not_in_features_of_two(spark, monkeypatch):
+    rnd = random.Random(32)
+    sizes = [rnd.randint(10, 1000) for _ in range(150)]
+    rows = [(1, i, n) for i, n in enumerate(sizes)] + [(2, i, sizes[i]) for i in range(20)]
+    # Two nodes each, that fit but are unlike.
+    rows += [(100 + i, 5_000 + 2 * i + k, 300) for i in range(200) for k in (0, 1)]
+    postings = spark.createDataFrame(rows, "feature int, node long, n int")
+    fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * 0.8
+    alike = lambda pairs: pairs.where("b < 5000 and (a + b) % 7 = 0")
+    held, write = [], common.Scratch.write
+
+    def noted(self, df):
+        found = write(self, df)
+        held.append((set(df.columns), found.count()))
+        return found
+
+    monkeypatch.setattr(common.Scratch, "write", noted)
+    up = list(range(150))
+    for b in range(150):
+        for a in range(b):
+            if (a + b) % 7 == 0 and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) and up[a] != up[b]:
+                up = [up[a] if x == up[b] else x for x in up]
+    for zone in (lambda n: F.floor(F.log(n) / F.log(F.lit(1.2625))),):
+        held.clear()
+        scratch = common.Scratch(spark, "joined")
+        got = {r.node: r.root for r in common.joined(postings, fits, alike, scratch, chunk=32, zone=zone).collect()}
+        scratch.close()
+        assert set(got) == {i for i in range(150) if up.count(up[i]) > 1}
+        assert len({(up[i], got[i]) for i in got}) == len({up[i] for i in got}) == len(set(got.values()))
+        assert max(n for columns, n in held if "major" in columns and "times" in columns) <= 170
+
+
+def test_documents_that_lose_no_line_are_not_dealt(spark):
+    rows = spark.range(20_000).withColumn("text", F.lit("t"))
+    touched, same = common.parted(rows, spark.range(0, 20_000, 4), "id")
+    touched, same = [r.id for r in touched.collect()], [r.id for r in same.collect()]
+    assert sorted(touched + same) == list(range(20_000)) and set(range(0, 20_000, 4)) <= set(touched) and len(same) > 14_000
+    assert [x.count() for x in common.parted(rows, spark.range(0), "id")] == [0, 20_000]
