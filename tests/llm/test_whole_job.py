@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import corpus_pipeline
 import pytest
@@ -185,6 +186,41 @@ def test_lines_that_gaps_or_words_would_set_apart_are_compared_whole(spark):
         assert found == distance(a, b) <= len(a) // 5
 
 
+def test_fingerprints_in_generated_code_are_the_same(spark):
+    sizes = (0, 1, 4, 30, 63, 64, linededup.FEW - 1, linededup.FEW, linededup.FEW + 1, 300, 700)
+    lines = [(n, " ".join(f"w{n}x{i}" for i in range(n)) + " twice" * (n % 3)) for n in sizes] + [(-1, None)]
+    df = spark.createDataFrame(lines, "n int, line string").select("n", linededup.hashes(F.col("line")).alias("words"))
+    want = {r.n: r.print for r in df.select("n", F.when(F.col("words").isNotNull(), linededup.fingerprint(F.col("words"))).alias("print")).collect()}
+    out = linededup.with_prints(df, "words", "print")
+    assert out.columns == ["n", "print"] and {r.n: r.print for r in out.collect()} == want and want[-1] is None
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Project") > 8
+
+
+def test_a_moved_word_does_not_make_long_lines_be_compared_whole(spark):
+    rnd = random.Random(27)
+    words = [f"{rnd.randint(0, 10**6)}q{i}" for i in range(9_000)]
+    moved = [*words[:4000], words[4001], words[4000], *words[4002:]]
+    moved[100], moved[8000] = "other", "new word"
+    none = linededup.frequent_words(spark.createDataFrame([("",)], "line string").where("false"))
+    a, b = " ".join(words), " ".join(moved)
+    allowed = F.floor(F.char_length("a") * 0.2).cast("int")
+    began = time.time()
+    found = spark.createDataFrame([(a, b)], "a string, b string").select(linededup.distance(F.col("a"), F.col("b"), none, allowed)).first()[0]
+    near = [i for i in range(9_000) if words[i] != moved[i]]
+    assert near == [100, 4000, 4001, 8000] and 10 < found < 80
+    # Frequent words cut no gaps: the whole lines, but for what they begin and end with.
+    often = F.array(*[F.lit(-1).cast("long")] * (linededup.SLOTS // 64))
+    same = [("a b", "a c b", 2), ("b a a", "a a", 2), ("a", "b", 1), ("a a", "a a", 0)]
+    same += [("o " * 500 + "e", "o " * 500 + "c e", 2), ("o " * 500 + "o", "o " * 498 + "o", 4), ("b " + "o " * 500 + "e", "o " * 501 + "e", 1)]
+    same += [(" ".join(["often"] * 20_000), " ".join(["often"] * 9_000 + ["once"] + ["often"] * 10_999), 3)]
+    for x, y, want in same:
+        got = spark.createDataFrame([(x, y)], "a string, b string").select(linededup.distance(F.col("a"), F.col("b"), often, F.lit(20_000))).first()[0]
+        assert got == want
+    # Each of the long pairs takes thousands of millions of steps as a whole.
+    assert time.time() - began < 20
+
+
 def test_near_dedup_stage_goes_through_simhash_and_loses_nothing_by_it(spark, tmp_path, monkeypatch):
     from skein.llm import shingles, simhash
 
